@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import elias_fano, piece_bpe, sharding, simhash
+from lodestone.llm import cover_tree, decontaminate, elias_fano, piece_bpe, quality, secrets_scan, sharding, simhash, toxicity, url_filter
 from lodestone.llm._common import table
 
 
@@ -20,19 +20,51 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.read_segments(elias_fano.write_segments(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_token_output": op2_token_output,
+    "op3_decontamination": op3_decontamination,
+    "op4_top_k": op4_top_k,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_secrets": op6_secrets,
+    "op7_url_filter": op7_url_filter,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": sharding.SQL}
+ORACLE: dict[str, str] = {"op1_sharding": sharding.SQL, "op4_top_k": cover_tree.SQL}
