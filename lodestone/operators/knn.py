@@ -23,21 +23,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector: str = "vector", digits: int = 6) -> DataFrame:
+def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector: str = "vector", digits: int = 6, exclude: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, rank, id, dist): the k nearest by cosine distance rounded to ``digits``, ties to the smaller id.
 
-    Rows with a null id or vector take no part. Vectors must have one length.
+    ``exclude`` names a column of the vectors and one of the questions: rows whose values are equal are no
+    candidates of that question. Rows with a null id or vector take no part. Vectors must have one length.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
-    asked = questions.select(F.col(query_col).cast("long").alias("q"), F.col(query_vector).alias("v")).where("v IS NOT NULL")
+    mine, asks = exclude or (None, None)
+    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"), (F.col(mine).cast("string") if mine else F.lit(None).cast("string")).alias("x")).where("i IS NOT NULL AND v IS NOT NULL")
+    asked = questions.select(F.col(query_col).cast("long").alias("q"), F.col(query_vector).alias("v"), (F.col(asks).cast("string") if asks else F.lit(None).cast("string")).alias("x")).where("v IS NOT NULL")
     found = None
     held: list = []
 
     def one_pass(batch: list) -> DataFrame:
-        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in batch]), np.array([[float(x) for x in r[1]] for r in batch])))
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in batch]), np.array([[float(x) for x in r[1]] for r in batch]), [r[2] for r in batch]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+            ids, q, apart = sent.value
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             best_d, best_i = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
             for b in batches:
@@ -46,10 +48,13 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_i
                 m = _matrix(b.column("v"))
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 d = np.round(1 - q @ m.T, digits) + 0.0
+                if exclude:
+                    d[np.array(apart, object)[:, None] == np.array(b.column("x").to_pylist(), object)[None, :]] = np.inf
                 d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, np.broadcast_to(b.column("i").to_numpy(), (len(q), b.num_rows))], axis=1)
                 order = np.lexsort((i, d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query_id", "i", "dist"])
+            found = np.isfinite(best_d).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(x.ravel()[found]) for x in (np.repeat(ids, best_d.shape[1]), best_i, best_d)], names=["query_id", "i", "dist"])
 
         return rows.mapInArrow(run, "query_id long, i long, dist double")
 

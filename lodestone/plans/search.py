@@ -58,11 +58,8 @@ def find_similar(anchors: DataFrame, vectors: DataFrame, locations: DataFrame, k
     anchor = at.withColumn("n", F.row_number().over(w)).where("n = 1").select("query_id", F.col("id").alias("anchor"), F.col("path").alias("anchor_path"))
     asked = anchor.join(vectors.select(F.col("id").alias("anchor"), F.col("embedding").alias("vector")), "anchor")
     live = locations if include_deleted else locations.where(~F.col("path").startswith(maintain.HISTORY))
-    # rows of the anchor's file cannot be dropped before the top k, so as many more are fetched
-    most = live.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(anchor.select(F.col("anchor_path").alias("path")).distinct(), "path", "left_semi").agg(F.max("n")).first()[0] or 0
-    near = knn.top_k(vectors.join(live.select("id").distinct(), "id", "left_semi"), asked, k + 1 + (most if exclude_same_file else 0), id_col="id").drop("rank")
+    kept = vectors.join(live.select("id", "path"), "id")
+    near = knn.top_k(kept, asked, k + 1, id_col="id", exclude=("path", "anchor_path") if exclude_same_file else ("id", "anchor")).drop("rank")
     rows = near.join(live, "id").join(anchor, "query_id").where(F.col("id") != F.col("anchor"))
-    if exclude_same_file:
-        rows = rows.where(F.col("path") != F.col("anchor_path"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "path", "start_line", "id")))
     return ranked.where(F.col("rank") <= k).withColumn("sim", F.round(1 - F.col("dist"), 6)).drop("anchor", "anchor_path")
