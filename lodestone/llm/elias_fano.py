@@ -204,7 +204,7 @@ class Encoder:
         for t in batch:
             if self.plain and not any(w in t for w in self.whole):
                 parts = t.replace("\n", " \n").split(" ")
-                if "" not in parts:
+                if "" not in parts and "\n" not in parts:
                     parts[0] = f"  {parts[0]}"  # no space before it
                     for p in set(parts).difference(known):
                         known[p] = self._chunk(p)
