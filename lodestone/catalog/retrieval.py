@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.catalog.common import DIST, LEXICAL, NEAR, PAGES, VECTORS, page_paths, query, table, text_questions, vector_questions
+from lodestone.catalog.common import DIST, LEXICAL, NEAR, PAGES, VECTORS, page_paths, query, spread, table, text_questions, vector_questions
 from lodestone.config import Rerank, Search
 from lodestone.functions.text import estimate_tokens
 from lodestone.operators import fusion, knn, lexical, maintain, present
@@ -17,7 +17,7 @@ def _near(spark, sf, k=50):
 
 
 def _lex(spark, sf, n=50):
-    return lexical.search(table(spark, sf, "documents"), text_questions(spark, sf), n)
+    return lexical.search(spread(table(spark, sf, "documents").select("doc_id", "text")), text_questions(spark, sf), n)
 
 
 _DOC_LOCATIONS = "doc_id AS id, source AS path, 'function' AS kind, CAST(doc_id AS STRING) AS symbol, lang, 1 AS start_line"
@@ -44,7 +44,7 @@ def hybrid_search(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     low = F.min(F.when(F.col("toxic") == 1, 0.5).when(F.col("quality") == 0, 0.7).otherwise(1.0)).alias("factor")
     factor = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(low)
-    out = plans.search(text_questions(spark, sf), vectors, docs.selectExpr(*_DOC_LOCATIONS.split(", ")), docs.select(F.col("doc_id").alias("id"), "text"), Search(penalties=()), mode="hybrid", factor=factor)
+    out = plans.search(text_questions(spark, sf), vectors, docs.selectExpr(*_DOC_LOCATIONS.split(", ")), spread(docs.select(F.col("doc_id").alias("id"), "text")), Search(penalties=()), mode="hybrid", factor=factor)
     return out.select("query_id", F.col("pos").cast("int").alias("pos"), "id", "path", "score", "sim", "via")
 
 
