@@ -44,7 +44,7 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bi
         zf = z[f]
         return np.where(np.abs(zf) <= l1[f], 0.0, -(zf - np.sign(zf) * l1[f]) / ((BETA + np.sqrt(n[f])) / ALPHA + L2))
 
-    held = [np.append(r, bias) for r in rows]
+    held = [np.append(r, np.int32(bias)) for r in rows]
     order = np.arange(len(rows))
     for turn in range(PASSES):
         np.random.default_rng(turn).shuffle(order)
@@ -78,13 +78,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             made = [np.unique(grams(t, BITS)).astype(np.int32) for t in texts(batch.column("t"))]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([m.tobytes() for m in made], pa.binary())], names=["k", "y", "f"])
 
-    rows = chosen.mapInArrow(features, "k long, y int, f binary").orderBy(F.xxhash64("k"), "k", "y", "f").limit(2 * sample).toArrow()
-    y = np.array(rows.column("y").to_pylist())
-    if not len(y):
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [(k, y, f) for b in batches for k, y, f in zip(b.column("h").to_pylist(), b.column("y").to_pylist(), b.column("f").to_pylist(), strict=True)]
+        seen.sort()
+        y = np.array([r[1] for r in seen])
+        weights = np.where(y == 1, max(1.0, counts.get(1, 0) / half), max(1.0, counts.get(0, 0) / half))
+        model, bias = fit_ftrl([np.frombuffer(r[2], np.int32) for r in seen], y, weights / weights.mean()) if seen else ({}, 0.0)
+        ids, values = np.fromiter(model, np.int32, len(model)), np.fromiter(model.values(), np.float64, len(model))
+        yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([values.tobytes()]), pa.array([bias])], names=["ids", "weights", "bias"])
+
+    # the bounded sample meets in one task, and only the sparse weights come back
+    rows = chosen.mapInArrow(features, "k long, y int, f binary").select(F.xxhash64("k").alias("h"), "y", "f")
+    got = rows.repartition(1).mapInArrow(fit, "ids binary, weights binary, bias double").collect()
+    if not got:
         return {}, 0.0
-    weights = np.where(y == 1, max(1.0, counts.get(1, 0) / half), max(1.0, counts.get(0, 0) / half))
-    weights = weights / weights.mean()
-    return fit_ftrl([np.frombuffer(x, np.int32).astype(np.int64) for x in rows.column("f").to_pylist()], y, weights)
+    return dict(zip(np.frombuffer(got[0].ids, np.int32).tolist(), np.frombuffer(got[0].weights, np.float64).tolist(), strict=True)), got[0].bias
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
