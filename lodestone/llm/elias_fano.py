@@ -19,6 +19,7 @@ Segments are cut by id count inside ranges of the key, so ids lie in ascending k
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from array import array
@@ -46,6 +47,9 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+_CHUNKS = re.compile(r"\s*\S+|\s+").findall
+
+
 class EliasFano:
     """A non-decreasing sequence of unsigned integers with random access."""
 
@@ -144,8 +148,8 @@ class Encoder:
 
     A chunk runs from a space (or line feed) that follows a non-space up to the next one. Byte-level BPE
     always starts a pre-token there, so the ids of a text are those of its chunks. A new chunk is cut into
-    pre-tokens, and the library's model turns each into ids. Texts with other white space, with runs of
-    it, or with the text of an added token go to the library whole.
+    pre-tokens, and the library's model turns each into ids. Where white space is of other kinds or in runs,
+    a chunk is a run of it and what follows. Texts with the text of an added token go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -161,7 +165,9 @@ class Encoder:
         pre = made.get("pre_tokenizer") or {}
         #: Chunks are exact for plain byte-level pre-tokenization only.
         self.plain = made["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not made.get("normalizer")
-        self.whole = [*OTHER_SPACE, *(x["content"] for x in made.get("added_tokens") or [])]
+        added = [x["content"] for x in made.get("added_tokens") or []]
+        self.whole = [*OTHER_SPACE, *added]
+        self.odd = ["\x1c", "\x1d", "\x1e", "\x1f", *added]  # white space here, but not in the pre-tokenizer
         self.cut = regex.compile(BYTE_LEVEL).findall
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # characters that hold every byte of UTF-8: below 2048, and one for each lead byte from E0 on
@@ -184,6 +190,8 @@ class Encoder:
         return got
 
     def _chunk(self, part: str) -> bytes:
+        if part.startswith("   "):  # a chunk as it stands
+            return b"".join(map(self._piece, self.cut(part[3:])))
         if part[0] == "\n":
             return self._piece("\n") + b"".join(map(self._piece, self.cut(part[1:])))
         text = part[2:] if part[0] == " " else f" {part}"
@@ -210,6 +218,13 @@ class Encoder:
                         known[p] = self._chunk(p)
                     out.append(b"".join(map(known.__getitem__, parts)))
                     continue
+            if self.plain and not any(w in t for w in self.odd):
+                # white space of any kind and number: a chunk is a run of it and what follows
+                parts = [f"   {p}" for p in _CHUNKS(t)]
+                for p in set(parts).difference(known):
+                    known[p] = self._chunk(p)
+                out.append(b"".join(map(known.__getitem__, parts)))
+                continue
             out.append(None)
         rest = iter(self._library([t for t, got in zip(batch, out, strict=True) if got is None]))
         return [next(rest) if got is None else got for got in out]
