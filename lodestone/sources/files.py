@@ -95,10 +95,10 @@ def read_exchange(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Snapshots:
-    """A table as immutable snapshot folders and one pointer file; a commit writes and then swaps.
+    """Tables as immutable snapshot folders and one pointer file over all; a commit writes and then swaps.
 
-    Readers resolve the pointer once, so they see one snapshot. Files go through Hadoop's file system, so
-    any store that Spark reaches will do.
+    Readers resolve the pointer once, so they see one state of all tables. Files go through Hadoop's file
+    system, so any store that Spark reaches will do. ``vacuum`` deletes what no pointer names.
     """
 
     VERSION = 1
@@ -108,24 +108,36 @@ class Snapshots:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> dict | None:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
-
-    def read(self, schema: str) -> DataFrame:
-        now = self._pointer()
-        return self.spark.createDataFrame([], schema) if now is None else self.spark.read.schema(schema).parquet(f"{self.root}/{now['snapshot']}")
-
-    def commit(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> str:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}")
-        new, at = self._path(f"{self.root}/.next-{name}"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": self.VERSION, "snapshot": name}).encode()))
+    def tables(self) -> dict[str, str]:
+        """Table -> snapshot folder."""
+        at = f"{self.root}/CURRENT"
+        if not self._fs.exists(self._path(at)):
+            return {}
+        return json.loads("".join(r[0] for r in self.spark.read.text(at).collect()))["tables"]
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        now = self.tables().get(name)
+        return self.spark.createDataFrame([], schema) if now is None else self.spark.read.schema(schema).parquet(f"{self.root}/{now}")
+
+    def commit(self, new: dict[str, DataFrame]) -> None:
+        """All given tables in one step; the others stay as they are."""
+        tables = self.tables()
+        for name, df in new.items():
+            tables[name] = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{tables[name]}")
+        ready, at = self._path(f"{self.root}/.next-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT")
+        out = self._fs.create(ready, True)
+        out.write(bytearray(json.dumps({"version": self.VERSION, "tables": tables}).encode()))
         out.close()
         self._fs.delete(at, False)
-        if not self._fs.rename(new, at):
+        if not self._fs.rename(ready, at):
             raise RuntimeError("the pointer was not swapped")
-        return name
+
+    def vacuum(self) -> int:
+        """Delete snapshots that the pointer does not name; only when nobody reads them."""
+        kept, gone = {*self.tables().values(), "CURRENT"}, 0
+        for f in self._fs.listStatus(self._path(self.root)):
+            if f.getPath().getName() not in kept:
+                self._fs.delete(f.getPath(), True)
+                gone += 1
+        return gone

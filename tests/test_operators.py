@@ -194,11 +194,13 @@ def test_exchange_round_trip(spark, tmp_path):
 
 def test_snapshots(spark, tmp_path):
     s = files.Snapshots(spark, f"file://{tmp_path}/t")
-    assert s.read("a int").count() == 0
-    s.commit(spark.createDataFrame([(1,)], "a int"))
-    before = s.read("a int")
-    s.commit(before.unionByName(spark.createDataFrame([(2,)], "a int")))
-    assert sorted(r.a for r in s.read("a int").collect()) == [1, 2] and before.count() == 1
+    assert s.read("x", "a int").count() == 0
+    s.commit({"x": spark.createDataFrame([(1,)], "a int"), "y": spark.createDataFrame([(7,)], "b int")})
+    before = s.read("x", "a int")
+    s.commit({"x": before.unionByName(spark.createDataFrame([(2,)], "a int"))})
+    assert sorted(r.a for r in s.read("x", "a int").collect()) == [1, 2] and before.count() == 1
+    assert s.read("y", "b int").first().b == 7
+    assert s.vacuum() >= 1 and s.read("x", "a int").count() == 2
 
 
 def test_watch_isolates_errors(spark, tmp_path):
