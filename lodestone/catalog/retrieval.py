@@ -274,3 +274,25 @@ def history_scope(spark, sf):
     rows = table(spark, sf, "embeddings").withColumn("path", F.concat(F.when(F.col("label") == 4, maintain.HISTORY).otherwise(""), F.lit("f"), F.col("label").cast("string")))
     kept = rows.where(F.col("path").like("%f%") & ~F.col("path").like("%9"))
     return kept.groupBy("label").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("path").startswith(maintain.HISTORY)).alias("history"))
+
+
+@query(f"""WITH {_RANKED}, d AS (SELECT unnest([10, 20, 40]) AS depth), w AS (SELECT unnest([0.5::DOUBLE, 1, 2]) AS weight),
+h AS (SELECT depth, weight, r.*, row_number() OVER (PARTITION BY depth, weight, query_id ORDER BY round(ce * prior, 9) DESC, pos) AS ce_rank FROM r, d, w WHERE pos <= depth),
+n AS (SELECT *, round(1.0::DOUBLE / (60 + pos) + weight / (60 + ce_rank), 9) AS new FROM h)
+SELECT depth, weight, query_id, id, row_number() OVER (PARTITION BY depth, weight, query_id ORDER BY new DESC, pos)::INT AS pos FROM n QUALIFY row_number() OVER (PARTITION BY depth, weight, query_id ORDER BY new DESC, pos) <= 5""")
+def rerank_sweep(spark, sf):
+    rows, ce = _ranked(spark, sf)
+    return fusion.rerank_sweep(rows, ce, [10, 20, 40], [0.5, 1.0, 2.0])
+
+
+@query(f"""WITH {_RANKED}, b AS (SELECT *, greatest(score, ce) AS best FROM r), k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank_a, row_number() OVER (PARTITION BY query_id ORDER BY ce DESC, id) AS rank_b, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, id) AS rank_max FROM b)
+SELECT query_id, id, rank_a::INT AS rank_a, rank_b::INT AS rank_b, rank_max::INT AS rank_max, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + rank_a) + 1.0::DOUBLE / (60 + rank_b), 9) DESC, id)::INT AS rank_rrf FROM k""")
+def two_views(spark, sf):
+    rows, ce = _ranked(spark, sf)
+    return fusion.two_views(rows.join(ce, ["query_id", "id"]), "score", "ce")
+
+
+@query(f"""WITH {NEAR}, {_BRANCHES}, f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists GROUP BY ALL), n AS (SELECT id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM f)
+SELECT DISTINCT id FROM (SELECT id FROM n WHERE n <= 40 UNION ALL SELECT item_id FROM benchmark)""")
+def description_pool(spark, sf):
+    return fusion.pool(_lists(spark, sf), table(spark, sf, "benchmark").select(F.col("item_id").alias("id")))

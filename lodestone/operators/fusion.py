@@ -109,3 +109,30 @@ def subsets(ranks: DataFrame, branches: Sequence[str], depth: int = 50, k: int =
     bit = F.coalesce(*(F.when(F.col("branch") == b, F.lit(1 << i)) for i, b in enumerate(branches)))
     rows = ranks.where(F.col("rank") <= depth).withColumn("bit", bit).where("bit IS NOT NULL").withColumn("mask", F.explode(F.filter(masks, lambda m: m.bitwiseAND(F.col("bit")) != 0)))
     return rows.groupBy("mask", "query_id", id_col).agg(F.round(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))), 9).alias("score"))
+
+
+def rerank_sweep(rows: DataFrame, scores: DataFrame, depths: Sequence[int], weights: Sequence[float], k: int = 60, top: int = 5, id_col: str = "id") -> DataFrame:
+    """Rank fusion at every depth and weight in one job: (depth, weight, query_id, id, pos) of the first rows."""
+    params = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.lit(float(w)).alias("weight")) for d in depths for w in weights)))
+    joined = rows.join(scores.select("query_id", id_col, "ce"), ["query_id", id_col], "left").select("*", params.alias("p")).select("*", "p.depth", "p.weight").drop("p")
+    head = joined.where(F.col("pos") <= F.col("depth"))
+    keys = ["depth", "weight", "query_id"]
+    ce_rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round(F.coalesce("ce", F.lit(0.0)) * F.col("prior"), 9)), "pos"))
+    scored = head.withColumn("new", F.round(F.lit(1.0) / (F.lit(float(k)) + F.col("pos")) + F.col("weight") / (F.lit(float(k)) + ce_rank), 9))
+    ranked = scored.withColumn("new_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("new"), "pos")))
+    return ranked.where(F.col("new_pos") <= top).select(*keys, id_col, F.col("new_pos").cast("int").alias("pos"))
+
+
+def two_views(rows: DataFrame, a: str, b: str, k: int = 60, id_col: str = "id") -> DataFrame:
+    """Ranks of rows by two similarities (such as code and description), by the larger one, and by RRF."""
+    by = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), id_col))
+    ranked = rows.withColumn("best", F.greatest(a, b)).withColumns({"rank_a": by(a), "rank_b": by(b), "rank_max": by("best")})
+    ranked = ranked.withColumn("rrf", F.round(F.lit(1.0) / (F.lit(float(k)) + F.col("rank_a")) + F.lit(1.0) / (F.lit(float(k)) + F.col("rank_b")), 9))
+    return ranked.withColumn("rank_rrf", by("rrf")).select("query_id", id_col, *(F.col(c).cast("int").alias(c) for c in ("rank_a", "rank_b", "rank_max", "rank_rrf")))
+
+
+def pool(ranks: DataFrame, expected: DataFrame, depth: int = 40, k: int = 60, id_col: str = "id") -> DataFrame:
+    """Distinct candidates worth describing: the first fused rows of every question, and all expected ones."""
+    fused = ranks.groupBy("query_id", id_col).agg(F.round(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank"))), 9).alias("score"))
+    first = fused.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id_col))).where(F.col("n") <= depth)
+    return first.select(id_col).unionByName(expected.select(id_col)).distinct()
