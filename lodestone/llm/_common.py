@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,24 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def remembers(name: str, clear: Callable[[], None]) -> None:
+    """Declare what an operator keeps in a worker process between tasks, and how to let go of it."""
+    _caches[name] = clear
+
+
+def claim(name: str) -> None:
+    """Called by an operator as a task begins: workers are reused, so what others keep is let go."""
+    if _owner[0] != name:
+        for other, clear in _caches.items():
+            if other != name:
+                clear()
+        _owner[0] = name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

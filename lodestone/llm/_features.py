@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from lodestone.llm._common import remembers
+
 #: Words whose hash a worker remembers; then it begins anew.
 REMEMBERED = 400_000
 _WORDS = re.compile(r"\w+")
@@ -23,6 +25,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+remembers("features", _hashes.clear)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import texts
+from lodestone.llm._common import claim, remembers, texts
 
 BITS, BLOCKS = 256, 16
 #: Similarity 0.8 is an angle of about 27 degrees, 39 bits of 256 on average with a deviation of 6.
@@ -199,10 +199,12 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 
 
 _indexes: dict[tuple, Index] = {}
+remembers("decontaminate", _indexes.clear)
 
 
 def _index(key: tuple, sent, n: int) -> Index:
     """One index per worker process and block."""
+    claim("decontaminate")
     if key not in _indexes:
         _indexes.clear()
         _indexes[key] = Index(sent.value, n)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import texts, written
+from lodestone.llm._common import claim, remembers, texts, written
 
 MAGIC = b"LDSTSEG1"
 HEAD = struct.Struct("<8sIB3xQQQq")
@@ -231,6 +231,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+remembers("elias_fano", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -256,6 +257,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = 0, partitions:
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("elias_fano")
         enc, keys, held, ids, made = encoder(tokenizer), [], [], 0, 0
         wide = np.dtype("<u2") if end_id < 65536 and enc.dtype.itemsize == 2 else np.dtype("<u4")
         end = np.asarray([end_id], wide)

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import texts
+from lodestone.llm._common import claim, remembers, texts
 
 SPACE = "▁"
 #: Distinct cuts whose ids a worker remembers; then it begins anew.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -144,6 +144,8 @@ class PieceBpe:
             self.known, self.decoded = {}, {}
         if len(self.words) > REMEMBERED:
             self.words = {}
+        if len(self.fits) > REMEMBERED:
+            self.fits = {}
         known = self.known
         if SPACE not in text:
             parts = text.replace("\n", " \n").split(" ")
@@ -174,6 +176,7 @@ class PieceBpe:
 
 _BYTES = re.compile("(?:\0[0-9a-f]{2})+")
 _models: dict[str, PieceBpe] = {}
+remembers("piece_bpe", _models.clear)
 
 
 def model(path: str) -> PieceBpe:
@@ -192,6 +195,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     fields = pa.schema([("k", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("piece_bpe")
         m = model(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -212,6 +216,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     fields = pa.schema([("k", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("piece_bpe")
         m, sha = model(path), hashlib.sha256
         for batch in batches:
             counts, a, b = [], [], []

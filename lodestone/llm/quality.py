@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import texts
-from lodestone.llm._features import REMEMBERED, _hashes
+from lodestone.llm._common import claim, remembers, texts
+from lodestone.llm._features import REMEMBERED
 
 BITS = 15
 #: Labelled rows that the fit uses at most.
@@ -29,14 +30,14 @@ SAMPLE = 12_000
 STEPS, RATE, RIDGE = 300, 0.05, 1e-4
 #: Shares of shapes and repeats are scaled up against those of words, which are many and rare.
 SHAPE, REPEAT = 4.0, 8.0
-_UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-z]{2,}"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+_LETTERS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
 def shape(word: str) -> str:
     """Runs as one sign each: ``A`` upper case, ``a`` other letters, ``9`` digits; marks stay."""
     if word.isalpha():
         return "A" if word.isupper() and len(word) > 1 else "a"
-    w = _LOWER.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
+    w = _LETTERS.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "a", word)
     return _DIGIT.sub("9", w)
 
 
@@ -53,10 +54,11 @@ class _Pairs(dict):
 
 
 def hash_of(word: str) -> int:
-    return _hashes[word]
+    return xxhash.xxh64_intdigest(word)
 
 
 _pairs = _Pairs()
+remembers("quality", _pairs.clear)
 #: Word buckets, then shape buckets, then the repeat share.
 WIDTH = (1 << BITS + 1) + 1
 
@@ -146,17 +148,25 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     chosen = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             made = [features(t) for t in texts(batch.column("t"))]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["k", "y", "i", "v"])
 
-    rows = chosen.mapInArrow(run, "k long, y int, i binary, v binary").orderBy(F.xxhash64("k"), "k", "y", "i").limit(2 * sample).toArrow()
-    y = np.array(rows.column("y").to_pylist())
-    if not len(y):
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("h", "y", "i", "v")), strict=True))
+        y = np.array([r[1] for r in seen])
+        made = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in seen]
+        empty = Ordinal(np.zeros(WIDTH, np.float32), np.zeros(max(0, len(grades) - 1)), grades)
+        m = Ordinal.fit(made, y, np.array([max(1.0, counts[g] / share) for g in y.tolist()]), grades) if seen else empty
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), pa.array([m.thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
+
+    # the bounded sample meets in one task, and only the weights come back
+    rows = chosen.mapInArrow(run, "k long, y int, i binary, v binary").select(F.xxhash64("k").alias("h"), "y", "i", "v")
+    got = rows.repartition(1).mapInArrow(fit, "weights binary, thresholds array<double>").collect()
+    if not got:
         return Ordinal(np.zeros(WIDTH, np.float32), np.zeros(max(0, len(grades) - 1)), grades)
-    weight = np.array([max(1.0, counts[g] / share) for g in y.tolist()])
-    made = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32)) for i, v in zip(rows.column("i").to_pylist(), rows.column("v").to_pylist(), strict=True)]
-    return Ordinal.fit(made, y, weight, grades)
+    return Ordinal(np.frombuffer(got[0].weights, np.float32), np.array(got[0].thresholds), grades)
 
 
 def score(docs: DataFrame, model: Ordinal, least: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,6 +180,7 @@ def score(docs: DataFrame, model: Ordinal, least: int | None = None, id_col: str
     fields = pa.schema([("k", pa.int64()), ("expected_grade", pa.float64()), ("tail_prob", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         m, at = sent.value
         for batch in batches:
             tails = [m.tails(t) for t in texts(batch.column("t"))]
@@ -189,6 +200,7 @@ def select(docs: DataFrame, model: Ordinal, least: int | None = None, text_col:
     sent = docs.sparkSession.sparkContext.broadcast((model, _position(model, least)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         m, at = sent.value
         for batch in batches:
             yield batch.filter(pa.array([at < 0 or float(m.tails(t)[min(at, len(m.thresholds) - 1)]) >= 0.5 for t in texts(batch.column(text_col))], pa.bool_()))

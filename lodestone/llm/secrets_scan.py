@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import texts, with_column
+from lodestone.llm._common import claim, texts, with_column
 
 # The base patterns, the least length of what they find, and the words that open a context.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -115,6 +115,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     fields = pa.schema([("k", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_novel", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("secrets")
         for batch in batches:
             rows = []
             for t in texts(batch.column("t")):
@@ -146,6 +147,7 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_c
     count = count_col if count_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("secrets")
         for batch in batches:
             new = [None if t is None else redacted(t) for t in batch.column(text_col).to_pylist()]
             held = batch.column(text_col)

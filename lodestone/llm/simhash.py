@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import utf8, with_column, written
+from lodestone.llm._common import claim, utf8, with_column, written
 from lodestone.llm.components import components
 
 SEED = 42
@@ -61,6 +61,7 @@ def with_fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", o
     """``docs`` with the fingerprint of each text as a signed 64-bit number; null text has no words: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             found = np.fromiter((fingerprint(t, words) for t in utf8(batch.column(text_col))), np.uint64, batch.num_rows)
             yield with_column(batch, out, pa.array(found.view(np.int64)))

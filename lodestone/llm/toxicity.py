@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import texts
+from lodestone.llm._common import claim, texts
 from lodestone.llm._features import grams
 
 BITS = 20
@@ -74,6 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     chosen = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "k")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("features")
         for batch in batches:
             made = [np.unique(grams(t, BITS)).astype(np.int32) for t in texts(batch.column("t"))]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([m.tobytes() for m in made], pa.binary())], names=["k", "y", "f"])
@@ -105,6 +106,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], id_col: str =
     fields = pa.schema([("k", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("features")
         weights, bias = sent.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[list(weights)] = list(weights.values())
