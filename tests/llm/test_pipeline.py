@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_operators import brute_contamination, brute_fingerprint, brute_groups
+from test_llm_operators import brute_contamination, brute_fingerprint, brute_groups
 
 from lodestone.llm import secrets_scan
 from lodestone.llm.queries import QUERIES
