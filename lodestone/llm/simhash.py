@@ -195,10 +195,18 @@ def keep_first(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
 
     All columns stay. Cases as in ``near_duplicates``; of a component with null keys only, one row stays.
     """
-    fp, mine, rows_col = "__ls_fp", "__ls_component", "__ls_rows"
+    fp = "__ls_fp"
     marked = with_fingerprints(docs, words, text_col, fp)
     prints = written(marked.select(F.col(id_col).alias("k"), F.col(fp).alias("fp")), "fingerprints")[0]
-    found = components_of(prints, "k", "fp", hot)
+    return first_rows(docs, marked, prints, components_of(prints, "k", "fp", hot), id_col, fp)
+
+
+def first_rows(docs: DataFrame, marked: DataFrame, prints: DataFrame, found: DataFrame, id_col: str, fp: str) -> DataFrame:
+    """The row with the smallest key of each component.
+
+    marked: ``docs`` with column ``fp``; prints: its written ``(k, fp)``; found: ``(fp, component_id)``.
+    """
+    mine, rows_col = "__ls_component", "__ls_rows"
     # the fingerprint breaks ties between rows of one key
     counted = prints.groupBy("k", "fp").agg(F.count(F.lit(1)).alias("n")).join(found, "fp")
     order = F.struct(F.col("k").isNull().alias("none"), "k", "fp", "n")
