@@ -1,16 +1,17 @@
 """Secret scans: fixed base patterns, and novelty against a primed zstandard dictionary.
 
 The base kinds (assign, access, hex) are patterns. The method adds kind ``novel``: a candidate is a
-string of 20 or more key characters, with a letter and three digits, that follows a sensitive word on its
-line. Its novelty is what it adds to a compressed frame that is primed with common identifiers and with
+string of 16 or more key characters, of any kind, with a sensitive word near it on either side, on its line or
+another, or right after a reported one (so that all lines of a key block count). Its novelty is what it adds to a compressed frame that is primed with common identifiers and with
 the text around the candidate: compressed size with it less the size without, in bytes per character.
 Ordinary identifiers and text repeated nearby cost little; random strings cost what their alphabet
-carries. Candidates at or over the threshold are reported unless they overlap a base span.
+carries, so digits alone and hex digits alone are held to a lower threshold. Candidates at or over the threshold are reported unless they overlap a base span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,10 +39,11 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 ffffff
 https://localhost:8080/api/v1/users application/json content-type text/html utf-8 sha256 base64 """
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.ASCII | re.IGNORECASE)
-#: Characters before a candidate in which a sensitive word counts, and around it that prime the frame.
-REACH, AROUND = 48, 512
+_HEXES = re.compile("[0-9a-f]+|[0-9A-F]+")
+#: Characters on each side of a candidate in which a sensitive word counts, and that prime the frame.
+REACH, AROUND = 128, 512
 #: Bytes a character from which a candidate is novel: so few of its characters are found nearby or in words.
 NOVELTY = 0.8
 
@@ -77,6 +79,13 @@ def novelty(candidate: str, around: str) -> float:
     return min(as_is, _marginal(candidate.lower(), around.lower())) if as_is >= NOVELTY else as_is
 
 
+def _share(candidate: str) -> float:
+    """Bits a character of the candidate's alphabet, as a share of the 6 of all key characters."""
+    if candidate.isdigit():
+        return math.log2(10) / 6
+    return 4 / 6 if _HEXES.fullmatch(candidate) else 1.0
+
+
 def novel_spans(text: str, lower: str, base: list[tuple[int, str, int]], least: float = NOVELTY) -> list[tuple[int, str, int]]:
     """Spans of novel candidates that overlap no base span."""
     if not any(w in lower for w in CONTEXT_WORDS):
@@ -84,13 +93,13 @@ def novel_spans(text: str, lower: str, base: list[tuple[int, str, int]], least:
     out = []
     for m in CANDIDATE.finditer(text):
         c = m[0]
-        if sum(x.isdigit() for x in c) < 3 or not any(x.isalpha() for x in c):
-            continue
         a, b = m.span()
-        line = text[max(0, a - REACH) : a].rpartition("\n")[2]
-        if not _CONTEXT.search(line) or any(s < b and a < e for s, _, e in base):
+        if any(s < b and a < e for s, _, e in base):
+            continue
+        goes_on = out and not text[out[-1][2] : a].strip(" \t\r\n\"',\\")
+        if not (goes_on or _CONTEXT.search(text[max(0, a - REACH) : a]) or _CONTEXT.search(text[b : b + REACH])):
             continue
-        if novelty(c, text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]) >= least:
+        if novelty(c, text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]) >= least * _share(c):
             out.append((a, "novel", b))
     return out
 
