@@ -5,7 +5,7 @@ string of 16 or more key characters, of any kind, with a sensitive word near it
 another, or right after a reported one (so that all lines of a key block count). Its novelty is what it adds to a compressed frame that is primed with common identifiers and with
 the text around the candidate: compressed size with it less the size without, in bytes per character.
 Ordinary identifiers and text repeated nearby cost little; random strings cost what their alphabet
-carries, so digits alone and hex digits alone are held to a lower threshold. Candidates at or over the threshold are reported unless they overlap a base span.
+carries, so digits alone and hex digits alone are held to a lower threshold. Candidates at or over the threshold are reported unless base spans cover them wholly.
 """
 
 from __future__ import annotations
@@ -86,15 +86,24 @@ def _share(candidate: str) -> float:
     return 4 / 6 if _HEXES.fullmatch(candidate) else 1.0
 
 
+def _covered(a: int, b: int, base: list[tuple[int, str, int]]) -> bool:
+    """Whether base spans, which are ordered, hold every character from a to b."""
+    for s, _, e in base:
+        if s > a:
+            break
+        a = max(a, e)
+    return a >= b
+
+
 def novel_spans(text: str, lower: str, base: list[tuple[int, str, int]], least: float = NOVELTY) -> list[tuple[int, str, int]]:
-    """Spans of novel candidates that overlap no base span."""
+    """Spans of novel candidates that base spans do not cover wholly."""
     if not any(w in lower for w in CONTEXT_WORDS):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
         c = m[0]
         a, b = m.span()
-        if any(s < b and a < e for s, _, e in base):
+        if _covered(a, b, base):
             continue
         goes_on = out and not text[out[-1][2] : a].strip(" \t\r\n\"',\\")
         if not (goes_on or _CONTEXT.search(text[max(0, a - REACH) : a]) or _CONTEXT.search(text[b : b + REACH])):

@@ -49,3 +49,13 @@ def test_key_block():
 
 def test_words_and_repeats_stay():
     assert novel("the key is 00000000000000000000 or xxxxxxxxxxxxxxxxxxxxxxxx, user_name_session_id, configuration_manager") == []
+
+
+def test_keys_that_a_base_span_covers_in_part():
+    rng = random.Random(5)
+    head, tail = drawn(rng, string.ascii_uppercase, 20), drawn(rng, string.ascii_uppercase, 20)
+    for key in (f"{head}{drawn(rng, "0123456789abcdef", 24)}{tail}", f"{head.lower()}AKIA{drawn(rng, string.ascii_uppercase, 16)}{tail.lower()}"):
+        text = f"the private key is {key} for now"
+        assert novel(text) == [key]
+        assert secrets_scan.redacted(text) == "the private key is [SECRET] for now"
+    assert novel("the private key is 0123abcd4567ef890123abcd") == []
