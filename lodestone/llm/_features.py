@@ -9,8 +9,8 @@ import xxhash
 
 from lodestone.llm._common import remembers
 
-#: Words whose hash a worker remembers; then it begins anew.
-REMEMBERED = 400_000
+#: Words whose hash a worker remembers; then it begins anew. Longer words are not remembered, which bounds the bytes.
+REMEMBERED, LONGEST = 400_000, 48
 _WORDS = re.compile(r"\w+")
 
 
@@ -20,7 +20,9 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = h
         return h
 
 

@@ -5,8 +5,8 @@ x holds hashed words, hashed word shapes (runs of upper case, lower case, digits
 themselves), each as its share of the text's words, and the share of words that repeat the one before.
 The fit gives an expected grade and, for selection, the tail probability of the upper grades.
 
-It is fitted on a bounded sample: up to SAMPLE / grades rows of each grade, those with the smallest hash
-of the key, weighted to their true shares.
+It is fitted on a bounded sample (see ``_sample``): up to SAMPLE / grades rows of each grade and
+SAMPLE_BYTES of features, weighted to their true shares.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import claim, remembers, texts
-from lodestone.llm._features import REMEMBERED
+from lodestone.llm._features import LONGEST, REMEMBERED
+from lodestone.llm._sample import fit_one, pick
 
 BITS = 15
-#: Labelled rows that the fit uses at most.
-SAMPLE = 12_000
+#: Labelled rows, and bytes of their features, that the fit uses at most; the only bounds on what it sees.
+SAMPLE, SAMPLE_BYTES = 12_000, 64_000_000
 #: Full-batch steps of Adam, its rate, and the ridge on weights.
 STEPS, RATE, RIDGE = 300, 0.05, 1e-4
 #: Shares of shapes and repeats are scaled up against those of words, which are many and rare.
@@ -49,7 +50,9 @@ class _Pairs(dict):
             self.clear()
         mask = (1 << BITS) - 1
         s = hash_of("\0" + shape(word)) & mask | 1 << BITS
-        v = self[word] = hash_of(word.lower()) & mask | s << 32
+        v = hash_of(word.lower()) & mask | s << 32
+        if len(word) <= LONGEST:
+            self[word] = v
         return v
 
 
@@ -132,20 +135,17 @@ class Ordinal:
         return float(self.grades[0] + np.diff(self.grades) @ tails) if self.grades else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
-    """Fit on labelled rows; null grades are left out, no labelled row gives a model without grades."""
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Ordinal:
+    """Fit on labelled rows; no labelled row gives a model without grades.
+
+    Null grades and keys are left out. A key counts once for each grade it has, however often it or its
+    grade repeats, with the text whose features are smallest.
+    """
+    picked, counts = pick(labels, F.col(label_col), id_col, lambda n: max(1, sample // n))
     grades = sorted(counts)
-    if not grades:
+    if picked is None:
         return Ordinal(np.zeros(WIDTH, np.float32), np.zeros(0), [])
     share = max(1, sample // len(grades))
-    picked = None
-    for g in grades:
-        some = known.where(F.col("y") == g).orderBy(F.xxhash64("k"), "k").limit(share)
-        picked = some if picked is None else picked.unionByName(some)
-    # at most ``sample`` keys
-    chosen = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
@@ -154,16 +154,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["k", "y", "i", "v"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("h", "y", "i", "v")), strict=True))
-        y = np.array([r[1] for r in seen])
-        made = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in seen]
-        empty = Ordinal(np.zeros(WIDTH, np.float32), np.zeros(max(0, len(grades) - 1)), grades)
-        m = Ordinal.fit(made, y, np.array([max(1.0, counts[g] / share) for g in y.tolist()]), grades) if seen else empty
-        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), pa.array([m.thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
-
-    # the bounded sample meets in one task, and only the weights come back
-    rows = chosen.mapInArrow(run, "k long, y int, i binary, v binary").select(F.xxhash64("k").alias("h"), "y", "i", "v")
-    got = rows.repartition(1).mapInArrow(fit, "weights binary, thresholds array<double>").collect()
+        rows, y = [], []
+        for b in batches:
+            rows += [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(b.column("i").to_pylist(), b.column("v").to_pylist(), strict=True)]
+            y += b.column("y").to_pylist()
+        if rows:
+            m = Ordinal.fit(rows, np.array(y), np.array([max(1.0, counts[g] / share) for g in y]), grades)
+            yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), pa.array([m.thresholds.tolist()], pa.list_(pa.float64()))], names=["weights", "thresholds"])
+
+    got = fit_one(docs, picked, id_col, text_col, run, "i v", sample_bytes, fit, "weights binary, thresholds array<double>")
     if not got:
         return Ordinal(np.zeros(WIDTH, np.float32), np.zeros(max(0, len(grades) - 1)), grades)
     return Ordinal(np.frombuffer(got[0].weights, np.float32), np.array(got[0].thresholds), grades)
