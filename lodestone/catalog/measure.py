@@ -110,3 +110,28 @@ def label_distance(spark, sf):
     one = v.where("vec_id = 0").select(F.col("embedding").alias("w"))
     d = F.round(cosine_distance(F.col("embedding"), F.col("w")), 6)
     return v.crossJoin(F.broadcast(one)).groupBy("label").agg(F.round(F.min(d), 6).alias("nearest"))
+
+
+@query(f"""WITH {NEAR}, hit AS (SELECT query_id, bool_or(label = q_label AND vec_id <> query_id) AS found, bool_or(vec_id % 3 = 0 AND label = q_label AND vec_id <> query_id) AS reached FROM near WHERE rank <= 20 GROUP BY query_id)
+SELECT query_id, found AND NOT reached AS lost FROM hit""")
+def lost_answers(spark, sf):
+    """Against a list that misses two rows of three: which questions lose their answer (a vector of their label)."""
+    q, v = vector_questions(spark, sf), table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("own"))
+    exact = _near(spark, sf, 20).join(v, "vec_id").join(q.select("query_id", "label"), "query_id")
+    return E.lost_answers(exact, exact.where("vec_id % 3 = 0"), (F.col("own") == F.col("label")) & (F.col("vec_id") != F.col("query_id")))
+
+
+@query("SELECT count(*) AS stored, count(*) FILTER (WHERE vec_id IN (SELECT doc_id FROM labels)) AS live, round(count(*) / count(*) FILTER (WHERE vec_id IN (SELECT doc_id FROM labels)), 6) AS bloat FROM embeddings")
+def index_bloat(spark, sf):
+    """Vectors stored for each whose document has a label."""
+    return E.bloat(table(spark, sf, "embeddings"), table(spark, sf, "labels").withColumnRenamed("doc_id", "vec_id"), "vec_id")
+
+
+@query("SELECT count(*) AS inputs, count(*) FILTER (WHERE length(text) / 3.2::DOUBLE > 2048) AS truncated, round(count(*) FILTER (WHERE length(text) / 3.2::DOUBLE > 2048) / count(*), 6) AS rate, round(count(*) FILTER (WHERE length(text) / 3.2::DOUBLE > 2048) / count(*), 6) > 0.05 AS alarm FROM documents")
+def embed_stats(spark, sf):
+    return E.embed_stats(table(spark, sf, "documents"))
+
+
+@query("SELECT count(*) AS n, sum(('0x' || substr(md5(source || chr(31) || doc_id), 1, 8))::BIGINT)::BIGINT AS digest FROM documents")
+def state_digest(spark, sf):
+    return E.state_digest(table(spark, sf, "documents"), "source", "doc_id")

@@ -64,16 +64,19 @@ def knn_filtered(spark, sf):
 
 
 @query(
-    f"""WITH {VECTORS}, loc AS (SELECT doc_id % 400 AS vec_id, source || '/' || doc_id AS path, 1 AS start_line FROM documents),
+    f"""WITH {VECTORS}, loc AS (SELECT vec_id, 'own/' || vec_id AS path, 1 AS start_line FROM v UNION ALL SELECT doc_id % (SELECT max(vec_id) + 1 FROM v), source || '/' || doc_id, 1 FROM documents),
 s AS (SELECT query_id, vec_id, {DIST.format("q.c", "v.c")} AS dist FROM q, v WHERE vec_id IN (SELECT vec_id FROM loc)),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS n FROM s QUALIFY n <= 20),
 r AS (SELECT query_id, vec_id, path, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, path, start_line, vec_id) AS rank FROM top JOIN loc USING (vec_id))
 SELECT query_id, rank::INT AS rank, vec_id, path, dist FROM r WHERE rank <= 10"""
 )
 def knn_fanout(spark, sf):
-    """One vector may lie in many places: documents share 400 vectors."""
-    loc = table(spark, sf, "documents").selectExpr("doc_id % 400 AS vec_id", "concat(source, '/', doc_id) AS path", "1 AS start_line")
-    out = knn.live_top_k(table(spark, sf, "embeddings"), loc, vector_questions(spark, sf), 10)
+    """One vector may lie in many places: each has one of its own, and documents are spread over all vectors."""
+    v = table(spark, sf, "embeddings")
+    most = v.agg(F.max("vec_id")).first()[0]
+    own = v.selectExpr("vec_id", "concat('own/', vec_id) AS path", "1 AS start_line")
+    loc = own.unionByName(table(spark, sf, "documents").selectExpr(f"doc_id % {most + 1} AS vec_id", "concat(source, '/', doc_id) AS path", "1 AS start_line"))
+    out = knn.live_top_k(v, loc, vector_questions(spark, sf), 10)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "path", "dist")
 
 
@@ -109,11 +112,8 @@ def _lists(spark, sf):
     w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     exact = near.where("rank <= 50").selectExpr("query_id", "'exact' AS branch", "vec_id AS id", "rank")
     half = near.where("vec_id % 2 = 0").withColumn("rank", F.row_number().over(w)).selectExpr("query_id", "'half' AS branch", "vec_id AS id", "rank")
-    # the questions of a label are ranked against the vectors of that label
-    own = None
-    for label in range(10):
-        part = knn.top_k(v.where(F.col("label") == label), q.where(F.col("label") == label), 50)
-        own = part if own is None else own.unionByName(part)
+    # the questions of a label are ranked against the vectors of that label, in one pass over them
+    own = knn.top_k(v, q, 50, same=("label", "label"))
     return exact.unionByName(half).unionByName(own.selectExpr("query_id", "'label' AS branch", "vec_id AS id", "rank"))
 
 

@@ -139,7 +139,7 @@ class Engine:
         if self.reranker is not None and s.rerank.enabled:
             head = run(replace(s, top_k=s.rerank.candidates, max_per_file=s.rerank.candidates, rerank=replace(s.rerank, enabled=False)))
             wide = head.join(self.chunks().select("content_hash", "embed_text"), "content_hash").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
-            scores = models.rerank_scores(wide, self.reranker, s.rerank.candidates)
+            scores = models.rerank_scores(wide, self.reranker, s.rerank.candidates, strict=s.rerank.strict)
         return run(s, scores).join(self.chunks().select("content_hash", "raw_text"), "content_hash")
 
     def find_similar(self, repo: str, path: str, line: int, k: int = 8, exclude_same_file: bool = True, include_history: bool = False) -> DataFrame:
@@ -196,17 +196,30 @@ class Engine:
         return E.collapse(calls.join(self._ranked(golden, k), "query_id"), F.coalesce(F.col("rank") <= k, F.lit(False)))
 
     def accept(self, golden: DataFrame) -> DataFrame:
-        """Production settings at depth 50, with digests of the settings and the question set."""
+        """Production settings at depth 50, with digests of the settings and the question set.
+
+        ``unchanged`` is false if the index changed meanwhile, which voids the result.
+        """
         rows = golden.collect()
         marks = {"settings": E.settings_digest(asdict(self.config)), "dataset": E.dataset_digest([(r["q"], list(r["expect"])) for r in rows])}
-        return E.acceptance(self._ranked(golden, 50)).withColumns({k: F.lit(v) for k, v in marks.items()})
+        state = lambda: tuple(E.state_digest(self.locations(), "repo", "path", "content_hash").first())
+        before = state()
+        found = self.spark.createDataFrame(*(lambda d: (d.collect(), d.schema))(E.acceptance(self._ranked(golden, 50))))
+        return found.withColumns({k: F.lit(v) for k, v in marks.items()} | {"unchanged": F.lit(state() == before)})
 
     def check_index(self, golden: DataFrame, k: int = 50) -> tuple[DataFrame, list[str]]:
         """Approximate against exact lists for every question, and what is wrong."""
-        _, vectors, _ = self._parts(None)
-        asked = self._ask([r["q"] for r in golden.collect()])
+        rows = golden.collect()
+        at, vectors, _ = self._parts(None)
+        asked = self._ask([r["q"] for r in rows])
         exact = knn.top_k(vectors, asked, k, id_col="id")
         near = knn.approximate_top_k(vectors, asked, k, id_col="id", dims=self.embedder.dims)
-        rows = E.overlap(exact, near)
-        one = rows.agg(F.avg("overlap").alias("mean"), F.min("overlap").alias("worst")).first()
-        return rows, E.index_problems(E.Health(one["mean"] or 1.0, 1.0 if one["worst"] is None else one["worst"], 0, 1.0))
+        want = self.spark.createDataFrame([(i, r["expect"]) for i, r in enumerate(rows)], "query_id long, expect array<string>")
+        hit = F.arrays_overlap("expect", E.match_keys(F.col("path"), F.col("symbol"), F.col("parent_chain")))
+        placed = lambda hits: hits.join(at, "id").join(want, "query_id")
+        lost = E.lost_answers(placed(exact), placed(near), hit)
+        out = E.overlap(exact, near).join(lost, "query_id", "left")
+        one = out.agg(F.avg("overlap").alias("mean"), F.min("overlap").alias("worst"), F.count_if("lost").alias("lost")).first()
+        size = E.bloat(self.chunks(), at).first()["bloat"]
+        # without questions there is nothing to find fault with
+        return out, E.index_problems(E.Health(*(1.0 if one[c] is None else one[c] for c in ("mean", "worst")), one["lost"], size))

@@ -33,9 +33,14 @@ def code_query(q: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.contains(w, F.lit("_"))))
 
 
+def words(t: Column) -> Column:
+    """Runs of letters and digits, lower-cased."""
+    return F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def lexemes(t: Column) -> Column:
     """Words of a text as the index sees them: runs of letters and digits, with identifiers taken apart."""
-    return F.filter(F.split(F.lower(code_tokens(t)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return words(code_tokens(t))
 
 
 def estimate_tokens(t: Column) -> Column:

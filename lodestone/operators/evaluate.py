@@ -10,6 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import MODEL_CONTEXT
+from lodestone.functions.text import truncated as is_cut
+
 
 def match_keys(path: Column, symbol: Column, parents: Column) -> Column:
     """What a result answers to: its path, and path::name for each symbol and parent."""
@@ -109,6 +112,37 @@ def overlap(exact: DataFrame, other: DataFrame, id_col: str = "id") -> DataFrame
     return a.join(b, "query_id", "left").select("query_id", "exact", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), F.round(F.coalesce(F.col("shared") / F.col("exact"), F.when(F.col("exact") == 0, 1.0).otherwise(0.0)), 6).alias("overlap"))
 
 
+def lost_answers(exact: DataFrame, other: DataFrame, hit: Column) -> DataFrame:
+    """(query_id, lost): whether the exact list holds a hit and the other list none.
+
+    Both lists carry the columns that ``hit`` looks at. Questions without an exact list are left out.
+    """
+    a = exact.groupBy("query_id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("found"))
+    b = other.groupBy("query_id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("reached"))
+    return a.join(b, "query_id", "left").select("query_id", (F.col("found") & ~F.coalesce("reached", F.lit(False))).alias("lost"))
+
+
+def bloat(stored: DataFrame, live: DataFrame, key: str = "content_hash") -> DataFrame:
+    """(stored, live, bloat): rows kept for each row that is live; 0 when none is."""
+    mine = stored.select(key).join(live.select(key).distinct().withColumn("is_live", F.lit(1)), key, "left")
+    n = mine.agg(F.count(F.lit(1)).alias("stored"), F.count("is_live").alias("live"))
+    return n.withColumn("bloat", F.round(F.coalesce(F.try_divide("stored", "live"), F.lit(0.0)), 6))
+
+
+def embed_stats(texts: DataFrame, text_col: str = "text", context: int = MODEL_CONTEXT, alarm: float = 0.05) -> DataFrame:
+    """(inputs, truncated, rate, alarm): how many inputs an embedder cuts, and whether that is too many."""
+    n = texts.agg(F.count(F.lit(1)).alias("inputs"), F.count_if(is_cut(F.col(text_col), context)).alias("truncated"))
+    n = n.withColumn("rate", F.round(F.coalesce(F.try_divide("truncated", "inputs"), F.lit(0.0)), 6))
+    return n.withColumn("alarm", F.col("rate") > alarm)
+
+
+def state_digest(rows: DataFrame, *keys: str) -> DataFrame:
+    """(n, digest) of a table's rows, whatever their order: equal before and after a measurement that changes nothing."""
+    text = F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    part = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("digest"))
+
+
 @dataclass(frozen=True)
 class Health:
     overlap: float

@@ -20,10 +20,11 @@ def rrf(ranks: DataFrame, weights: dict[str, float], k: int = 60, depth: int | N
 
 
 def hybrid(vec: DataFrame, lex: DataFrame, s: Search, id_col: str = "id") -> DataFrame:
-    """The two-branch fusion: score, in_vec, in_lex; the best max(6 k, 60) of a question."""
-    both = vec.select("query_id", id_col, "rank", F.lit("vec").alias("branch")).unionByName(lex.select("query_id", id_col, "rank", F.lit("lex").alias("branch")))
+    """The two-branch fusion: score, in_vec, in_lex, dist (null if no vector list has the row); the best max(6 k, 60) of a question."""
+    dist = F.col("dist") if "dist" in vec.columns else F.lit(None).cast("double").alias("dist")
+    both = vec.select("query_id", id_col, "rank", F.lit("vec").alias("branch"), dist).unionByName(lex.select("query_id", id_col, "rank", F.lit("lex").alias("branch"), F.lit(None).cast("double").alias("dist")))
     part = F.when(F.col("branch") == "vec", F.lit(s.vector_weight)).otherwise(F.lit(s.lexical_weight)) / (F.lit(float(s.rrf_k)) + F.col("rank"))
-    fused = both.groupBy("query_id", id_col).agg(F.round(F.sum(part), 9).alias("score"), F.bool_or(F.col("branch") == "vec").alias("in_vec"), F.bool_or(F.col("branch") == "lex").alias("in_lex"))
+    fused = both.groupBy("query_id", id_col).agg(F.round(F.sum(part), 9).alias("score"), F.bool_or(F.col("branch") == "vec").alias("in_vec"), F.bool_or(F.col("branch") == "lex").alias("in_lex"), F.max("dist").alias("dist"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return fused.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= max(6 * s.top_k, 60))
 

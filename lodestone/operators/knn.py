@@ -23,13 +23,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector: str = "vector", digits: int = 6, exclude: tuple[str, str] | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector: str = "vector", digits: int = 6, exclude: tuple[str, str] | None = None, same: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, rank, id, dist): the k nearest by cosine distance rounded to ``digits``, ties to the smaller id.
 
     ``exclude`` names a column of the vectors and one of the questions: rows whose values are equal are no
-    candidates of that question. Rows with a null id or vector take no part. Vectors must have one length.
+    candidates of that question. ``same`` names such a pair too: only rows whose values are equal (and not
+    null) are candidates. Rows with a null id or vector take no part. Vectors must have one length.
     """
-    mine, asks = exclude or (None, None)
+    if exclude and same:
+        raise ValueError("exclude and same exclude each other")
+    mine, asks = exclude or same or (None, None)
     rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"), (F.col(mine).cast("string") if mine else F.lit(None).cast("string")).alias("x")).where("i IS NOT NULL AND v IS NOT NULL")
     asked = questions.select(F.col(query_col).cast("long").alias("q"), F.col(query_vector).alias("v"), (F.col(asks).cast("string") if asks else F.lit(None).cast("string")).alias("x")).where("v IS NOT NULL")
     found = None
@@ -48,8 +51,10 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_i
                 m = _matrix(b.column("v"))
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 d = np.round(1 - q @ m.T, digits) + 0.0
-                if exclude:
-                    d[np.array(apart, object)[:, None] == np.array(b.column("x").to_pylist(), object)[None, :]] = np.inf
+                if exclude or same:
+                    theirs = np.array(b.column("x").to_pylist(), object)
+                    equal = np.array(apart, object)[:, None] == theirs[None, :]
+                    d[equal if exclude else ~equal | np.equal(theirs, None)[None, :]] = np.inf
                 d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_i, np.broadcast_to(b.column("i").to_numpy(), (len(q), b.num_rows))], axis=1)
                 order = np.lexsort((i, d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)

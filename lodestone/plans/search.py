@@ -9,12 +9,15 @@ from lodestone.config import Search
 from lodestone.operators import fusion, knn, lexical, maintain
 
 
-def search(questions: DataFrame, vectors: DataFrame, locations: DataFrame, texts: DataFrame, s: Search | None = None, mode: str | None = None, where: Column | None = None, scores: DataFrame | None = None, factor: DataFrame | None = None) -> DataFrame:
+def search(questions: DataFrame, vectors: DataFrame, locations: DataFrame, texts: DataFrame, s: Search | None = None, mode: str | None = None, where: Column | None = None, scores: DataFrame | None = None, factor: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """Ranked locations for every question: query_id, pos, id, path, score, sim, via and location columns.
 
     questions(query_id, text, vector); vectors(id, embedding); locations(id, path, kind, symbol, lang,
     start_line, ...); texts(id, text). ``factor(id, factor)`` lowers scores further; ``scores`` are a
-    reranker's (query_id, id, ce). Wide columns are joined to the ranked rows only.
+    reranker's (query_id, id, ce). With written ``postings(id, term, tf)`` no text is read. Wide columns are
+    joined to the ranked rows only.
+
+    With reranking enabled and no scores the order stays as it is, or, if it is strict, that is an error.
     """
     s = s or Search()
     mode = mode or s.mode
@@ -22,26 +25,25 @@ def search(questions: DataFrame, vectors: DataFrame, locations: DataFrame, texts
     if where is not None:
         live = live.where(where)
     ids = live.select("id").distinct()
-    none = None
-    vec = lex = none
+    vec = lex = None
     if mode in ("semantic", "hybrid"):
         vec = knn.top_k(vectors.join(ids, "id", "left_semi"), questions, s.candidates, id_col="id")
     if mode in ("lexical", "hybrid"):
-        lex = lexical.search(texts.join(ids, "id", "left_semi"), questions, s.candidates, id_col="id")
+        if postings is not None:
+            lex = lexical.search_postings(postings, questions, s.candidates, id_col="id", live=ids)
+        else:
+            lex = lexical.search(texts, questions, s.candidates, id_col="id", live=ids)
     empty = (vec if vec is not None else lex).select("query_id", "id", "rank").limit(0)
     fused = fusion.hybrid(vec if vec is not None else empty, lex if lex is not None else empty, s)
-    rows = fused.join(live, "id")
-    if vec is not None:
-        rows = rows.join(vec.select("query_id", "id", F.round(1 - F.col("dist"), 6).alias("sim")), ["query_id", "id"], "left")
-    else:
-        rows = rows.withColumn("sim", F.lit(None).cast("double"))
+    # the distance comes along, so the vector scan runs once
+    rows = fused.join(live, "id").withColumn("sim", F.round(1 - F.col("dist"), 6)).drop("dist")
     p = fusion.prior(F.col("path"), F.col("kind"), F.col("symbol"), F.col("lang"), s)
     if factor is not None:
         rows = rows.join(factor, "id", "left")
         p = p * F.least(F.coalesce("factor", F.lit(1.0)), F.lit(1.0))
     rows = rows.withColumn("prior", p).withColumn("score", F.round(F.col("score") * F.col("prior"), 9)).withColumn("via", fusion.via(F.col("in_vec"), F.col("in_lex")))
     rows = fusion.resort(rows)
-    if s.rerank.enabled and scores is not None:
+    if s.rerank.enabled:
         rows = fusion.rerank(rows, scores, s)
     return fusion.diversify(rows, s.top_k, s.max_per_file)
 

@@ -7,6 +7,7 @@ import re
 import subprocess
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +95,18 @@ def read_exchange(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("h string, e string, r string, t int, m string, v string").json(path)
 
 
+class Conflict(RuntimeError):
+    """Another commit changed a table that this one was made from."""
+
+
 class Snapshots:
-    """Tables as immutable snapshot folders and one pointer file over all; a commit writes and then swaps.
+    """Tables as immutable snapshot folders, and numbered pointer files over all of them; the highest is current.
 
-    Readers resolve the pointer once, so they see one state of all tables. Files go through Hadoop's file
-    system, so any store that Spark reaches will do. ``vacuum`` deletes what no pointer names.
+    A commit writes its tables and then creates the next pointer, which must not be there yet: readers see
+    the old state or the new one, a crash leaves the old one, and of two commits at once the second is put
+    on top of the first, or is a ``Conflict`` if both change one table. Files go through Hadoop's file
+    system, so any store that Spark reaches and that creates a file only if it is absent will do.
+    ``vacuum`` deletes what the current pointer does not name.
     """
 
     VERSION = 1
@@ -108,12 +116,26 @@ class Snapshots:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted((int(n.removeprefix("CURRENT-")) for n in names if re.fullmatch(r"CURRENT-[0-9]{12}", n)), reverse=True)
+
+    def _current(self) -> tuple[int, dict[str, str]]:
+        """Number and tables of the highest pointer that is written out; an unfinished one ends without its brace."""
+        for n in self._pointers():
+            held = "".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT-{n:012d}").collect())
+            if held.endswith("}"):
+                found = json.loads(held)
+                if found["version"] > self.VERSION:
+                    raise RuntimeError(f"the store has version {found['version']}, newer than {self.VERSION}")
+                return n, found["tables"]
+        return 0, {}
+
     def tables(self) -> dict[str, str]:
         """Table -> snapshot folder."""
-        at = f"{self.root}/CURRENT"
-        if not self._fs.exists(self._path(at)):
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(at).collect()))["tables"]
+        return self._current()[1]
 
     def read(self, name: str, schema: str) -> DataFrame:
         now = self.tables().get(name)
@@ -121,21 +143,35 @@ class Snapshots:
 
     def commit(self, new: dict[str, DataFrame]) -> None:
         """All given tables in one step; the others stay as they are."""
-        tables = self.tables()
+        base = self.tables()
+        made = {}
         for name, df in new.items():
-            tables[name] = f"{name}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{tables[name]}")
-        ready, at = self._path(f"{self.root}/.next-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(ready, True)
+            made[name] = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{made[name]}")
+        while True:
+            n, now = self._current()
+            if any(now.get(name) != base.get(name) for name in made):
+                raise Conflict(", ".join(made))
+            if self._point(max([n, *self._pointers()]) + 1, {**now, **made}):
+                return
+
+    def _point(self, n: int, tables: dict[str, str]) -> bool:
+        """Create pointer n; False if another commit has."""
+        at = self._path(f"{self.root}/CURRENT-{n:012d}")
+        try:
+            out = self._fs.create(at, False)
+        except Py4JJavaError:
+            if self._fs.exists(at):
+                return False
+            raise
         out.write(bytearray(json.dumps({"version": self.VERSION, "tables": tables}).encode()))
         out.close()
-        self._fs.delete(at, False)
-        if not self._fs.rename(ready, at):
-            raise RuntimeError("the pointer was not swapped")
+        return True
 
     def vacuum(self) -> int:
-        """Delete snapshots that the pointer does not name; only when nobody reads them."""
-        kept, gone = {*self.tables().values(), "CURRENT"}, 0
+        """Delete what the current pointer does not name; only when nobody reads or writes it."""
+        n, tables = self._current()
+        kept, gone = {*tables.values(), f"CURRENT-{n:012d}"}, 0
         for f in self._fs.listStatus(self._path(self.root)):
             if f.getPath().getName() not in kept:
                 self._fs.delete(f.getPath(), True)

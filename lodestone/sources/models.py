@@ -78,14 +78,32 @@ def embed(rows: DataFrame, model: Embedder, kind: str = "document", text_col: st
     return ordered.mapInArrow(run, schema)
 
 
-def rerank_scores(rows: DataFrame, model: Reranker, head: int = 20, text_col: str = "embed_text") -> DataFrame:
-    """(query_id, id, ce) for the first rows of each question; rows carry question and pos."""
+def rerank_scores(rows: DataFrame, model: Reranker, head: int = 20, text_col: str = "embed_text", batch: int = 16, strict: bool = False) -> DataFrame:
+    """(query_id, id, ce) for the first rows of each question; rows carry question and pos.
+
+    A question's rows are scored ``batch`` at a time. If the model fails, their ce is null, which leaves
+    their order as it was; or, if ``strict``, that is an error.
+    """
     some = rows.where(F.col("pos") <= head).select("query_id", "id", "question", F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [model.score(q or "", [t or ""])[0] for q, t in zip(b.column("question").to_pylist(), b.column("t").to_pylist(), strict=True)]
+            asked, texts = [q or "" for q in b.column("question").to_pylist()], [t or "" for t in b.column("t").to_pylist()]
+            scores: list[float | None] = []
+            while (at := len(scores)) < len(texts):
+                end = at + 1
+                while end < min(len(texts), at + batch) and asked[end] == asked[at]:
+                    end += 1
+                try:
+                    got = [float(x) for x in model.score(asked[at], texts[at:end])]
+                    if len(got) != end - at:
+                        raise ValueError("the model returned another number of scores")
+                except Exception:
+                    if strict:
+                        raise
+                    got = [None] * (end - at)
+                scores += got
             yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array(scores, pa.float64())], names=["query_id", "id", "ce"])
 
     kind = dict(rows.dtypes)
-    return some.mapInArrow(run, f"query_id {kind['query_id']}, id {kind['id']}, ce double")
+    return some.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, f"query_id {kind['query_id']}, id {kind['id']}, ce double")
