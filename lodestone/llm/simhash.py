@@ -196,8 +196,9 @@ def keep_first(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
     All columns stay. Cases as in ``near_duplicates``; of a component with null keys only, one row stays.
     """
     fp = "__ls_fp"
-    marked = with_fingerprints(docs, words, text_col, fp)
-    prints = written(marked.select(F.col(id_col).alias("k"), F.col(fp).alias("fp")), "fingerprints")[0]
+    # written with their texts: fingerprints are made once
+    marked = written(with_fingerprints(docs, words, text_col, fp), "fingerprints")[0]
+    prints = marked.select(F.col(id_col).alias("k"), F.col(fp).alias("fp"))
     return first_rows(docs, marked, prints, components_of(prints, "k", "fp", hot), id_col, fp)
 
 

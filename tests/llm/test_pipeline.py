@@ -5,7 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_llm_operators import brute_contamination, brute_fingerprint, brute_groups
+from test_llm_operators import brute_contamination
+from test_near_copies import brute_kept
 
 from lodestone.llm import secrets_scan
 from lodestone.llm.queries import QUERIES
@@ -31,8 +32,8 @@ def test_stages(spark, sf):
             good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
             assert good <= set(new) and len(bad & set(new)) <= 0.2 * len(bad) + 1
         elif name == "near_copies":
-            groups = brute_groups({k: brute_fingerprint(r.text) for k, r in now.items()})
-            assert set(new) == set(groups.values())
+            # five words and a similarity of 0.8: the stage's contract, not op8's
+            assert set(new) == brute_kept([(k, r.text) for k, r in now.items()])
         elif name == "decontaminate":
             leaks = {d for d, _ in brute_contamination([(k, r.text) for k, r in now.items()], items)}
             assert set(new) == set(now) - leaks
