@@ -5,21 +5,26 @@ from running sums, so a window costs as much as a shingle. Item fingerprints are
 BITS bits are cut into blocks, and each block value maps to the items whose own value lies within
 radius // blocks bits, so every item within the radius of a window is found in some block (pigeonhole).
 Found pairs are then decided by the weighted Jaccard similarity of their shingle multisets (the weight of
-a shingle is its count), which is computed exactly.
+a shingle is its count), which is computed exactly. A document shorter than an item is one window.
+
+The second, third, ... equal shingle of a window has bits of its own in the fingerprint. The weighted
+similarity is then that of plain sets, and similarity t means a cosine of 2 t / (1 + t) or more, whatever
+repeats and whatever the two sizes are.
 
 A window that similarity t or more joins to an item shares that part of its shingles with it. Fingerprints
 are therefore made only for windows in which that many shingles occur in the benchmark, which loses
 nothing.
 
 The benchmark is taken in blocks of bounded bytes; each is sent to the executors and all documents pass
-it. Documents are never shuffled.
+it, once for each block: the index of a block takes about 150 times its bytes in each worker. Documents are
+never shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -70,6 +75,30 @@ def _planes(shingles: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
+def _nth(shingles: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """What stands for shingles that have j equal ones before them in their window."""
+    return shingles + j.astype(np.uint64) * _P
+
+
+def _sums(shingles: np.ndarray, width: int) -> np.ndarray:
+    """Summed signs of every window of that width, equal shingles of a window told apart by ``_nth``.
+
+    Moving a window on takes out the last of the shingles equal to its first one, and puts in one more equal to the new one.
+    """
+    n = len(shingles)
+    code = np.unique(shingles, return_inverse=True)[1]
+    places = np.sort(code * n + np.arange(n))
+
+    def between(at: np.ndarray, first: np.ndarray | int, end: np.ndarray) -> np.ndarray:
+        return np.searchsorted(places, code[at] * n + end) - np.searchsorted(places, code[at] * n + first)
+
+    head, t = np.arange(width), np.arange(n - width)
+    sums = np.empty((n - width + 1, BITS), np.int32)
+    sums[0] = _planes(_nth(shingles[:width], between(head, 0, head))).sum(axis=0, dtype=np.int32)
+    sums[1:] = _planes(_nth(shingles[width:], between(t + width, t + 1, t + width))) - _planes(_nth(shingles[: n - width], between(t, t, t + width) - 1))
+    return np.cumsum(sums, axis=0, dtype=np.int32, out=sums)
+
+
 def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint16)
 
@@ -89,7 +118,7 @@ class Index:
         for k, (_, w) in enumerate(self.items):
             by_size[len(w), min(n, len(w))].append(k)
         self.sizes = {size: np.array(ks) for size, ks in by_size.items()}
-        self.prints = _packed(np.stack([_planes(s).sum(axis=0, dtype=np.int32) for s in self.shingles])) if self.items else np.zeros((0, BLOCKS), np.uint16)
+        self.prints = _packed(np.stack([_sums(s, len(s))[0] for s in self.shingles])) if self.items else np.zeros((0, BLOCKS), np.uint16)
         # short items: shingles of fewer words than n
         self.short = sorted({m for _, m in self.sizes if m < n})
         #: Hashes of the words of the benchmark; any other word counts as 0 while shingles are looked for.
@@ -126,14 +155,26 @@ class Index:
             hit = hit[self.known[np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)] == some]
             if not len(hit):
                 continue
-            if (widths := self._widths(m, hit, len(found), least)):
-                self._windows(widths, _shingles(_hashes(words), m), hit, least, best)
+            widths = self._widths(m, hit, len(found), least)
+            longer = self._longer(m, hit, len(found), least)
+            if not widths and not longer:
+                continue
+            shingles = _shingles(_hashes(words), m)
+            if widths:
+                self._windows(widths, shingles, hit, least, best)
+            if longer:
+                sizes = np.array(longer)
+                self._decide(_packed(_sums(shingles, len(shingles))), np.array([0]), np.array([len(shingles)]), lambda _, k: np.isin(self.size_of[k], sizes), shingles, least, best)
         return best
 
     def _widths(self, m: int, hit: np.ndarray, n: int, least: float) -> dict[int, int]:
         """Sizes with shingles of m words -> shingles in a window, of those that enough hits may fill."""
         return {number: w for number, size in enumerate(self.sizes) if size[1] == m and (w := size[0] - m + 1) <= n and len(hit) >= least * w - 1e-9}
 
+    def _longer(self, m: int, hit: np.ndarray, n: int, least: float) -> list[int]:
+        """Sizes that n shingles of m words, a whole document, fall short of without being too few."""
+        return [number for number, size in enumerate(self.sizes) if size[1] == m and (w := size[0] - m + 1) > n and len(hit) >= least * w - 1e-9]
+
     def _windows(self, widths: dict[int, int], shingles: np.ndarray, hit: np.ndarray, least: float, best: dict) -> None:
         """Look at the windows that cover one of ``hit``."""
         reach = max(widths.values()) - 1
@@ -160,29 +201,36 @@ class Index:
         if not some:
             return
         part = shingles[first : last + max(widths[number] for number in some)]
-        sums = np.zeros((len(part) + 1, BITS), np.int32)
-        np.cumsum(_planes(part), axis=0, dtype=np.int32, out=sums[1:])
+        sums = None
+        if len(np.unique(part)) == len(part):
+            sums = np.zeros((len(part) + 1, BITS), np.int32)
+            np.cumsum(_planes(part), axis=0, dtype=np.int32, out=sums[1:])
         prints, starts, sizes = [], [], []
         for number, at in some.items():
-            prints.append(_packed(sums[at + widths[number]] - sums[at]))
-            starts.append(at)
+            width = widths[number]
+            prints.append(_packed(_sums(part[: at[-1] + width], width)[at] if sums is None else sums[at + width] - sums[at]))
+            starts.append(at + first)
             sizes.append(np.full(len(at), number))
-        prints, starts, sizes = np.concatenate(prints), np.concatenate(starts), np.concatenate(sizes)
+        of = np.concatenate(sizes)
+        self._decide(np.concatenate(prints), np.concatenate(starts), np.array([widths[number] for number in of.tolist()]), lambda w, k: of[w] == self.size_of[k], shingles, least, best)
+
+    def _decide(self, prints: np.ndarray, starts: np.ndarray, widths: np.ndarray, fits: Callable, shingles: np.ndarray, least: float, best: dict) -> None:
+        """Compare windows with the items within the radius that ``fits`` (window, item) lets through."""
         pairs = []
         for block, (ends, items) in enumerate(self.index):
             a, b = ends[prints[:, block]], ends[prints[:, block].astype(np.int64) + 1]
             w = np.repeat(np.arange(len(prints)), b - a)
             k = items[np.arange(len(w)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
-            fit = sizes[w] == self.size_of[k]
+            fit = fits(w, k)
             pairs.append(w[fit] * len(self.items) + k[fit])
         w, k = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
         far = np.bitwise_count(prints[w] ^ self.prints[k]).sum(axis=1)
         close = far <= self.radius
         for i, item, d in zip(w[close].tolist(), k[close].tolist(), far[close].tolist(), strict=True):
-            at, width = int(starts[i]), widths[int(sizes[i])]
-            s = self._similarity(item, part[at : at + width])
-            if s >= least and (item not in best or (-s, d, first + at) < (-best[item][0], *best[item][1:])):
-                best[item] = (s, d, first + at)
+            at = int(starts[i])
+            s = self._similarity(item, shingles[at : at + int(widths[i])])
+            if s >= least and (item not in best or (-s, d, at) < (-best[item][0], *best[item][1:])):
+                best[item] = (s, d, at)
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -190,7 +238,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
     held, size = [], 0
     for row in items.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).toLocalIterator():
         held.append((row[0], row[1]))
-        size += len(row[1]) + 500
+        size += len(row[1].encode()) + 500
         if size >= BLOCK_BYTES:
             yield held
             held, size = [], 0
@@ -217,7 +265,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, similar
     Returns key, item, similarity, hamming, first_word (of the best window, the first among equals).
 
     Cases: null or wordless texts match nothing; items with fewer words than a shingle are one shingle;
-    repeated documents or items give a row each; no item or no document gives an empty result.
+    repeated documents or items give a row each; a text shorter than an item is compared with it as a whole; no item or no document gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
