@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import claim, remembers, texts
 
 SPACE = "▁"
-#: Distinct cuts whose ids a worker remembers; then it begins anew.
-REMEMBERED = 400_000
+#: Distinct cuts whose ids a worker remembers; then it begins anew. Longer cuts are not remembered, which bounds the bytes.
+REMEMBERED, LONGEST = 400_000, 64
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -125,7 +125,9 @@ class PieceBpe:
         got = self.words.get(text)
         if got is None:
             ok = text in self.single if len(text) == 1 else True  # one alone may be no piece
-            got = self.words[text] = self._run(text) if ok else "".join([f",{self.byte_id[b]}" for b in text.encode()])
+            got = self._run(text) if ok else "".join([f",{self.byte_id[b]}" for b in text.encode()])
+            if len(text) <= LONGEST:
+                self.words[text] = got
         return got
 
     def _cut(self, text: str) -> str:
@@ -150,9 +152,14 @@ class PieceBpe:
         if SPACE not in text:
             parts = text.replace("\n", " \n").split(" ")
             if "" not in parts:  # no run of spaces, none at an end or before a line feed
-                for p in set(parts).difference(known):
+                new = set(parts).difference(known)
+                for p in new:
                     known[p] = self._cut(p if p[0] == "\n" else SPACE + p)
-                return list(map(known.__getitem__, parts))
+                cuts = list(map(known.__getitem__, parts))
+                for p in new:
+                    if len(p) > LONGEST:
+                        del known[p]
+                return cuts
         return list(map(self._cut, _RUNS.findall(SPACE + text.replace(" ", SPACE))))
 
     def encode(self, text: str) -> str:
@@ -168,9 +175,13 @@ class PieceBpe:
     def decode(self, cuts: list[str]) -> str:
         """The text of ids given cut by cut, as ``cuts`` does; bytes of a character lie in one cut."""
         decoded = self.decoded
-        for ids in set(cuts).difference(decoded):
+        new = set(cuts).difference(decoded)
+        for ids in new:
             decoded[ids] = self._text(ids)
         out = "".join(map(decoded.__getitem__, cuts))
+        for ids in new:
+            if len(ids) > 6 * LONGEST:
+                del decoded[ids]
         return out[1:] if out[:1] == " " else out
 
 
