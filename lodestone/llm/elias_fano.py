@@ -24,6 +24,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ EF_HEAD = struct.Struct("<QQBQQQ")
 SAMPLE = 256
 #: A segment is closed once it has so many ids.
 SEGMENT_IDS = 4_000_000
-#: Distinct chunks whose ids a worker remembers; then it begins anew.
-REMEMBERED = 700_000
+#: Documents whose boundaries and keys are unpacked at once.
+SLICE = 4096
+#: Distinct chunks whose ids a worker remembers; then it begins anew. Longer chunks are not remembered, which bounds the bytes.
+REMEMBERED, LONGEST = 700_000, 64
 #: Pre-tokens of byte-level BPE (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unicode white space but for the space and the line feed (fixed values).
@@ -93,16 +96,19 @@ class EliasFano:
 
     def select(self, i: int) -> int:
         """Value i, reading from the nearest sample on."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, skip = at // 8, at % 8
-        span = 64 + left // 4
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + span], bitorder="little")[skip:])
-            if len(ones) > left:
-                return ((at + int(ones[left]) - i) << self.low_bits) | int(self._lows(i, i + 1)[0])
+        return int(self.between(i, i + 1)[0])
+
+    def between(self, first: int, end: int) -> np.ndarray:
+        """Values first to end - 1, reading from the nearest sample on."""
+        if not 0 <= first < end <= self.n:
+            raise IndexError(first, end)
+        at, passed = int(self.samples[first // SAMPLE]), first % SAMPLE
+        byte, wanted = at // 8, passed + end - first
+        span = 64 + wanted // 4
+        while len(ones := np.flatnonzero(np.unpackbits(self.high[byte : byte + span], bitorder="little")[at % 8 :])) < wanted:
             span *= 2
+        high = (ones[passed:wanted] + at - np.arange(first, end)).astype(np.uint64)
+        return (high << np.uint64(self.low_bits)) | self._lows(first, end)
 
     def all(self) -> np.ndarray:
         """Every value, as unsigned 64-bit integers."""
@@ -136,8 +142,11 @@ class Segment:
         head = HEAD.pack(MAGIC, 1, width, len(keys), len(ids), len(keys) - len(known), first)
         return b"".join((head, bounds.to_bytes(), offsets.to_bytes(), ids.astype(f"<u{width}").tobytes()))
 
-    def keys(self) -> list[int | None]:
-        return [None] * self.null_keys + [self.first_key + int(x) for x in self.key_set.all()]
+    def keys(self, first: int, end: int) -> list[int | None]:
+        """Keys of documents first to end - 1; nulls come first."""
+        none = self.null_keys
+        known = self.key_set.between(max(first - none, 0), end - none).tolist() if end > max(first, none) else []
+        return [None] * (end - first - len(known)) + [self.first_key + x for x in known]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
@@ -186,7 +195,9 @@ class Encoder:
         got = self.pieces.get(piece)
         if got is None:
             mapped = piece.encode().decode("latin-1").translate(self.bytes)
-            got = self.pieces[piece] = array(self.code, [x.id for x in self.model.tokenize(mapped)]).tobytes()
+            got = array(self.code, [x.id for x in self.model.tokenize(mapped)]).tobytes()
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = got
         return got
 
     def _chunk(self, part: str) -> bytes:
@@ -202,28 +213,34 @@ class Encoder:
                 return self._piece(text[:-1]) + self._piece(text[-1])
         return b"".join(map(self._piece, self.cut(text)))
 
+    def _joined(self, parts: list[str]) -> bytes:
+        known = self.known
+        new = set(parts).difference(known)
+        for p in new:
+            known[p] = self._chunk(p)
+        out = b"".join(map(known.__getitem__, parts))
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        return out
+
     def encode(self, batch: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
         if len(self.known) > REMEMBERED:
             self.known = {}
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
-        known = self.known
         for t in batch:
             if self.plain and not any(w in t for w in self.whole):
                 parts = t.replace("\n", " \n").split(" ")
                 if "" not in parts and "\n" not in parts:
                     parts[0] = f"  {parts[0]}"  # no space before it
-                    for p in set(parts).difference(known):
-                        known[p] = self._chunk(p)
-                    out.append(b"".join(map(known.__getitem__, parts)))
+                    out.append(self._joined(parts))
                     continue
             if self.plain and not any(w in t for w in self.odd):
                 # white space of any kind and number: a chunk is a run of it and what follows
                 parts = [f"   {p}" for p in _CHUNKS(t)]
-                for p in set(parts).difference(known):
-                    known[p] = self._chunk(p)
-                out.append(b"".join(map(known.__getitem__, parts)))
+                out.append(self._joined(parts))
                 continue
             out.append(None)
         rest = iter(self._library([t for t, got in zip(batch, out, strict=True) if got is None]))
@@ -302,9 +319,12 @@ def read_segments(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for base, data in zip(batch.column("base"), batch.column("data"), strict=True):
                 seg = Segment(data.as_buffer())
-                at, ids = seg.bounds.all().astype(np.int64), memoryview(seg.ids.astype("<u4")).cast("B")
-                crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(seg.keys(), pa.int64()), pa.array(base.as_py() + at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], schema=pa.schema(fields))
+                for first in range(0, seg.n_docs, SLICE):
+                    end = min(first + SLICE, seg.n_docs)
+                    at = seg.bounds.between(first, end + 1).astype(np.int64)
+                    ids = memoryview(seg.ids[at[0] : at[-1]].astype("<u4")).cast("B")
+                    crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in pairwise((at - at[0]).tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(seg.keys(first, end), pa.int64()), pa.array(base.as_py() + at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], schema=pa.schema(fields))
 
     out = placed.select("base", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("doc_id", id_col)
