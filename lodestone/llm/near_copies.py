@@ -1,11 +1,16 @@
 """Near copies by the exact Jaccard similarity of word shingle sets.
 
+Pairs come from SimHash fingerprints by deletion-variant signatures first, as in ``simhash``: fingerprints of the
+sets within two bits, as many pairs as join them all, each verified on the whole sets. Two bits don't reach all pairs
+of the similarity sought; a prefix filter finds the rest exactly.
+
 Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, n its size,
 whatever the order is that all sets are sorted by (prefix filter). The order is by hash, with shingles that
 are common in a sample of the texts at the end; the sample only makes buckets small and loses no pair.
 
 Shingles that two sets have in their prefixes are buckets; of buckets with the same sets one is enough. Their
-pairs are decided in two rounds, so that a large group of copies does not make all its pairs. The first takes,
+pairs are decided in two rounds, so that a large group of copies does not make all its pairs. The first takes
+the pairs that signatures give and,
 for each set, the nearest of its partners and the partner in its largest bucket; partners are the next set of a
 bucket by size and the set with fewest uncommon shingles. The second takes all pairs whose sets the first left in
 different components, so what the first takes decides the work and never the result. It takes a pair once if it
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import claim, forget, utf8, with_column, written
 from lodestone.llm.components import components
 from lodestone.llm.decontaminate import _hashes, _shingles
-from lodestone.llm.simhash import first_rows
+from lodestone.llm.simhash import first_rows, near_links
 
 WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted for the order, and shingles at most that it puts at the end.
@@ -233,6 +238,18 @@ def _across(similarity: float):
     return run
 
 
+def by_signatures(nodes: DataFrame) -> DataFrame:
+    """Written sets ``(fp, row, s0)`` -> pairs ``(u, ur, v, vr)`` that join all sets whose fingerprints s0 lie within two bits.
+
+    One set stands for those of a fingerprint; each of the others makes a pair with it.
+    """
+    stands = nodes.groupBy("s0").agg(F.min(F.struct("fp", "row")).alias("m"))
+    same = nodes.join(stands, "s0").where("fp <> m.fp").selectExpr("m.fp AS u", "m.row AS ur", "fp AS v", "row AS vr")
+    ends = [stands.selectExpr(f"s0 AS {x}", f"m.fp AS {y}", f"m.row AS {y}r") for x, y in (("a", "u"), ("b", "v"))]
+    close = near_links(stands.select(F.col("s0").alias("fp"))).withColumnsRenamed({"u": "a", "v": "b"})
+    return same.unionByName(close.join(ends[0], "a").join(ends[1], "b").select("u", "ur", "v", "vr"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of ``(u, ur, v, vr)``, sets and the rows of their texts, with the similarity, written; texts: (row, t)."""
     # written, so that its size is known when it meets the texts: if it is small it is sent, and no text moves
@@ -268,7 +285,7 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     dealt = _prefixes(rows, words, similarity).repartition("h").sortWithinPartitions("h", "fp")
     shared, shared_path = written(dealt.mapInArrow(_shared, f"bucket long, size long, {_ROW}"), "near-shared")
     once = shared.groupBy("bucket", "fp").agg(F.min(F.struct("h", "pos", "n", "rare", "size")).alias("m")).select("bucket", "fp", "m.pos", "m.n", "m.rare", "m.size")
-    nodes = rows.groupBy("fp").agg(F.min("row").alias("row"), *(F.min(s).alias(s) for s in PRINT))
+    nodes, nodes_path = written(rows.groupBy("fp").agg(F.min("row").alias("row"), *(F.min(s).alias(s) for s in PRINT)), "near-nodes")
     before = Window.partitionBy("fp").orderBy(F.desc("size"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = [F.coalesce(F.nth_value("bucket", i + 1).over(before), F.lit(0)).alias(b) for i, b in enumerate(FIRST)]
     members = written(once.join(nodes, "fp").select(*_MEMBER, *firsts), "near-members")[0]
@@ -278,8 +295,9 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     by_bucket = members.select(*_MEMBER).repartition("bucket").sortWithinPartitions("bucket", "n", "fp")
     found = by_bucket.mapInArrow(_partners(similarity), "u long, ur long, v long, vr long, far long, size long, least long")
     best = found.groupBy("u", "ur").agg(F.min(F.struct("far", "v", "vr")).alias("a"), F.max(F.struct("least", "size", "v", "vr")).alias("b"))
-    first = best.selectExpr("u", "ur", "inline(array(struct(a.v AS v, a.vr AS vr), struct(b.v AS v, b.vr AS vr)))")
+    first = best.selectExpr("u", "ur", "inline(array(struct(a.v AS v, a.vr AS vr), struct(b.v AS v, b.vr AS vr)))").unionByName(by_signatures(nodes))
     near = _verified(first.selectExpr("inline(array(IF(u < v, struct(u, ur, v, vr), struct(v AS u, vr AS ur, u AS v, ur AS vr))))"), texts, words, similarity)
+    forget(spark, nodes_path)
     rooted = members.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").select(*_MEMBER, *FIRST, F.coalesce("root", "fp").alias("root"))
     rest = rooted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(similarity), "u long, ur long, v long, vr long")
     return near.unionByName(_verified(rest, texts, words, similarity))
