@@ -212,15 +212,9 @@ def buckets(vectors: DataFrame, tables: int, bits: int, seed: int = 7, id_col: s
 
 
 def approximate_top_k(vectors: DataFrame, questions: DataFrame, k: int, tables: int = 16, bits: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_col: str = "query_id", query_vector: str = "vector", dims: int = 64) -> DataFrame:
-    """As ``top_k`` over the rows that share a bucket with the question, in any table or one bit away."""
-    index = buckets(vectors, tables, bits, id_col=id_col, vector_col=vector_col, dims=dims)
-    asked = buckets(questions, tables, bits, id_col=query_col, vector_col=query_vector, dims=dims)
-    probes = asked.withColumn("bucket", F.explode(F.array(F.col("bucket"), *(F.col("bucket").bitwiseXOR(F.lit(1 << b)) for b in range(bits)))))
-    pairs = probes.join(index, ["table", "bucket"]).select(F.col(query_col).alias("query_id"), id_col).distinct()
-    a = F.transform(F.col("va"), lambda x: x.cast("double"))
-    scored = pairs.join(vectors.select(id_col, F.col(vector_col).alias("va")), id_col).join(questions.select(F.col(query_col).alias("query_id"), F.col(query_vector).alias("vb")), "query_id")
-    from lodestone.functions.vector import cosine_distance
-
-    near = scored.select("query_id", id_col, F.round(cosine_distance(a, F.col("vb")), 6).alias("dist"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", id_col)))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), id_col, "dist")
+    """As ``top_k`` over the rows that share a bucket with the question, in any table or one bit away.
+
+    The pairs of a bucket are never made: with few and full buckets they are most of all pairs, several times
+    over. The scan tests the buckets of those rows that may belong to the k nearest.
+    """
+    return top_k(vectors, questions, k, id_col, vector_col, query_col, query_vector, planes=_planes(tables, bits, dims))

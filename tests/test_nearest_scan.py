@@ -36,3 +36,18 @@ def test_ties_at_the_kth_place_and_late_neighbours(spark):
     pairs = v.crossJoin(q).select("query_id", "vec_id", d.alias("d")).collect()
     want = [x for n in (0, 1) for x in sorted((r.query_id, r.d, r.vec_id) for r in pairs if r.query_id == n)[:10]]
     assert sorted((r.query_id, r.dist, r.vec_id) for r in knn.top_k(v, q, 10).collect()) == want
+
+
+def test_approximate_lists_without_pairs_of_buckets(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = v.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    got = knn.approximate_top_k(v, q, 10, tables=2, bits=6)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    near = F.explode(F.array(F.col("bucket"), *(F.col("bucket").bitwiseXOR(F.lit(1 << b)) for b in range(6))))
+    asked = knn.buckets(q, 2, 6, id_col="query_id", vector_col="vector").withColumn("bucket", near)
+    pairs = asked.join(knn.buckets(v, 2, 6), ["table", "bucket"]).select("query_id", "vec_id").distinct().join(v, "vec_id").join(q, "query_id")
+    found: dict[int, list] = {}
+    for r in pairs.select("query_id", "vec_id", (F.round(cosine_distance(F.col("embedding"), F.col("vector")), 6) + F.lit(0.0)).alias("d")).collect():
+        found.setdefault(r.query_id, []).append((r.d, r.vec_id))
+    want = [(n, *x) for n in sorted(found) for x in sorted(found[n])[:10]]
+    assert sorted((r.query_id, r.dist, r.vec_id) for r in got.collect()) == want
