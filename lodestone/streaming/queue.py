@@ -57,3 +57,16 @@ def watch(stream: DataFrame, flush: Callable[[DataFrame, int], None], checkpoint
     out = sessions(stream.withWatermark("ts", watermark), gap, most)
     writer = out.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+
+
+def whole(out: DataFrame, table: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Keep all rows of an aggregated stream (complete mode) in the Parquet table at ``table``, up to what has arrived now.
+
+    Executors write them; the driver, whose memory a sink of rows would fill, sees none.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+
+    writer = out.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (writer.queryName(name) if name else writer).trigger(availableNow=True).start()
