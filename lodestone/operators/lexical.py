@@ -11,6 +11,8 @@ from lodestone.functions.text import code_query, lexemes, words
 WEIGHT, LIMIT, MOST = 0.1, 1.64493406685, 256
 #: Where an identifier may be taken apart. A text without such a place has each word twice: as it is, and apart.
 _SEAM = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
+#: Bytes of stored documents that a task takes at most, about: its scores are one a question and document.
+SHARE = 8 << 20
 
 
 def _sums() -> list[float]:
@@ -33,7 +35,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | No
     each = docs.select(F.col(id_col), F.when(seam, 1).otherwise(2).alias("n"), F.when(seam, lexemes(t)).otherwise(words(t)).alias("terms"))
     some = each.select(id_col, "n", F.explode("terms").alias("term"))
     if wanted is not None:
-        some = some.join(wanted, "term", "left_semi")
+        some = some.join(F.broadcast(wanted), "term", "left_semi")
     return some.groupBy(id_col, "term").agg(F.sum("n").alias("tf"))
 
 
@@ -54,16 +56,26 @@ def search_postings(index: DataFrame, questions: DataFrame, n: int, id_col: str
     mine = index if live is None else index.join(live, id_col, "left_semi")
     # each posting is weighed before it meets the questions
     weighed = mine.select(id_col, "term", (F.lit(WEIGHT) * saturation(F.col("tf")) / F.lit(LIMIT)).alias("weight"))
-    scores = weighed.join(asked, "term").groupBy("query_id", id_col).agg(F.round(F.sum(F.col("weight") / F.col("terms")), 9).alias("lex"))
+    scores = weighed.join(F.broadcast(asked), "term").groupBy("query_id", id_col).agg(F.round(F.sum(F.col("weight") / F.col("terms")), 9).alias("lex"))
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lex"), id_col)))
     return ranked.where(F.col("rank") <= n).select("query_id", F.col("rank").cast("int").alias("rank"), id_col, "lex")
 
 
+def _tasks(docs: DataFrame) -> int:
+    """Parts for documents: one for each share of the tables they are read from, and for each core."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # rows that are not read from files have no size, which is given as a huge one
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-sum(x for x in sizes if x < 1 << 50) // SHARE))
+
+
 def search(docs: DataFrame, questions: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", question_col: str = "text", live: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, lex): the n best documents with at least one term, ties to the smaller id.
 
-    Terms that no question asks for are dropped before they are counted, and documents that are not ``live``
-    after: what is shuffled is counts, never texts.
+    Documents are dealt by their id, in parts of bounded size: words are counted, weighed and ranked where their
+    document is, so neither counts nor scores are shuffled, and a task's memory does not grow with the table. Terms
+    that no question asks for are dropped before they are counted, and documents that are not ``live`` after.
     """
+    docs = docs.select(id_col, text_col).repartition(_tasks(docs), id_col)
     wanted = query_terms(questions, query_col, question_col).select("term").distinct()
     return search_postings(postings(docs, id_col, text_col, wanted), questions, n, id_col, query_col, question_col, live)
